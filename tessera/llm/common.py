@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Bytes of text that one numpy pass takes; a longer text is one pass of its own.
 SLICE_BYTES = 2 << 20
 
@@ -59,6 +61,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text (null: empty), whatever other columns are there."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .simhash import near_duplicates
+from .substrings import drop_repeats
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_exact_dedup, op7_substring_dedup)}
 
 ORACLE = {
     "op5_exact_dedup": """

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_tables
+from . import queries_content, queries_dedup, queries_tables
 
-MODULES = (queries_tables, queries_dedup)
+MODULES = (queries_tables, queries_content, queries_dedup)
 
 
 def queries() -> dict:
