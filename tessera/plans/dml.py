@@ -184,7 +184,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     steps = [("rolled back", db.table("customers").count())]
     db.begin("repeatable read")
     first = db.table("customers").count()
-    other.delete("customers", "id <= 10")
+    other.delete("customers", "id < 10")
     assert first == db.table("customers").count()
     steps.append(("snapshot", db.table("customers").count()))
     db.update("customers", {"balance": "0"}, "id = 100")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CSV = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: What the reader gives for a quoted empty field, as against a null; a field of these two private-use characters reads as empty.
+_QUOTED_EMPTY = "\ue000\ue001"
 
 
 def _typed(raw: Column, kind: T.DataType) -> Column:
@@ -37,8 +39,9 @@ def copy_from(spark: SparkSession, path: str, schema: T.StructType, form: str =
     """
     if form == "csv":
         raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-        rows = spark.read.schema(raw).options(**_CSV, sep=delimiter or ",", header=str(header).lower(), mode="FAILFAST", multiLine="true").csv(path)
-        return rows.select(*(_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema))
+        rows = spark.read.schema(raw).options(**_CSV | {"emptyValue": _QUOTED_EMPTY}, sep=delimiter or ",", header=str(header).lower(), mode="FAILFAST", multiLine="true").csv(path)
+        fields = ((F.when(F.col(f.name) == _QUOTED_EMPTY, "").otherwise(F.col(f.name)), f) for f in schema)
+        return rows.select(*(_typed(value, f.dataType).alias(f.name) for value, f in fields))
     fields = F.split(F.col("value"), "\\Q" + (delimiter or "\t") + "\\E", -1)
     lines = spark.read.text(path).filter("value <> '\\\\.'")
     if header:
