@@ -151,8 +151,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_t
     texts = id_text(docs).withColumn("digest", F.xxhash64("text"))
     anchors = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window, gram), "anchor long, doc_id long, digest long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("anchor")
+    shared = stash(shared, "shared")  # read back, it comes to the join by an exchange of its own, so a skewed anchor can be split
     lists = stash(anchors.join(shared, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("shared")), "anchors")
     windows = texts.join(lists, key).mapInArrow(_windows(window, gram), "h1 long, h2 long, doc_id long, digest long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
+    first = stash(first, "repeated")  # likewise for skewed windows
     again = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy(key).agg(F.collect_set("at").alias("at"))
     return texts.join(again, key, "left").mapInArrow(_cut(window, keep_text), _CUT + (", intervals array<struct<first:long,beyond:long>>, kept string" if keep_text else ""))
