@@ -119,10 +119,11 @@ def unequal(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Keys of ``groups`` under which two texts differ, found by a chunkwise comparison."""
     rows = texts.select(F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "UTF-8").alias("body"), F.encode("text", "UTF-8").alias("bytes"), F.lit(0).cast("long").alias("after"))
     same = _hashed(rows).join(groups.select(KEY), KEY, "left_semi")
+    # Grouped by a struct, the chunks don't inherit the join's partitioning: a large group's rows can be split and are combined per task.
     parts = same.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n_bytes - 1, 0L) div {COMPARE_BYTES}")))).select(
-        *KEY, "at", F.expr(f"substring(bytes, cast(at * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES})").alias("part")
+        F.struct(*KEY).alias("key"), "at", F.expr(f"substring(bytes, cast(at * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES})").alias("part")
     )
-    return parts.groupBy(*KEY, "at").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select(KEY).distinct()
+    return parts.groupBy("key", "at").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key.*").distinct()
 
 
 def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -132,11 +133,12 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """
     texts = id_text(docs)
     rows = stash(_fingerprinted(texts, chunk_bytes).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    several = rows.groupBy(KEY).count().filter("count > 1")
+    several = stash(rows.groupBy(KEY).count().filter("count > 1"), "several")
     bad = stash(unequal(texts, several).withColumn("split", F.lit(True)), "unequal")
     rows = rows.join(bad, KEY, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split")
     key = [*KEY, "part"]
     groups = rows.groupBy(key).agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    groups = stash(groups, "groups")  # read back, the join's rows of one large group can be split
     return rows.join(groups, key).select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256", "n_bytes"
     )
