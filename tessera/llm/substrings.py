@@ -144,6 +144,16 @@ def _cut(window: int, keep_text: bool):
     return run
 
 
+def _of_document(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``texts`` with what was ``found`` in them.
+
+    Null-safe equality keeps an inner join from filtering null ids before its
+    exchange, so that inner and left joins of the texts use the same one.
+    """
+    found = found.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), how).drop("_id", "_digest")
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; with ``keep_text``
     also intervals (removed words, first and beyond) and kept (the text left)."""
@@ -153,8 +163,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_t
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("anchor")
     shared = stash(shared, "shared")  # read back, it comes to the join by an exchange of its own, so a skewed anchor can be split
     lists = stash(anchors.join(shared, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("shared")), "anchors")
-    windows = texts.join(lists, key).mapInArrow(_windows(window, gram), "h1 long, h2 long, doc_id long, digest long, at int")
+    windows = _of_document(texts, lists, "inner").mapInArrow(_windows(window, gram), "h1 long, h2 long, doc_id long, digest long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
     first = stash(first, "repeated")  # likewise for skewed windows
     again = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy(key).agg(F.collect_set("at").alias("at"))
-    return texts.join(again, key, "left").mapInArrow(_cut(window, keep_text), _CUT + (", intervals array<struct<first:long,beyond:long>>, kept string" if keep_text else ""))
+    return _of_document(texts, again, "left").mapInArrow(_cut(window, keep_text), _CUT + (", intervals array<struct<first:long,beyond:long>>, kept string" if keep_text else ""))
