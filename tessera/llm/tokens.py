@@ -1,8 +1,8 @@
 """Token ids of the public byte-level BPE, and exact length histograms.
 
 The encoder takes the vocabulary's ranks; its ids are those of the same
-vocabulary's JSON form (a test holds them equal).  Strings of special tokens in
-a text are ordinary text.
+vocabulary's JSON form under its default settings (a test holds them equal), so
+``<|endoftext|>`` in a text is the one id of that added token.
 
 Length histogram: documents are counted by encoded length within each task, the
 counts are summed, and suffix sums over the distinct lengths answer totals,
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
+#: The added tokens of the JSON form, which the rank file lacks.
+ADDED = {"<|endoftext|>": 50256}
 #: Lengths that one block of the two-level sums holds.
 BLOCK = 512
 
@@ -40,11 +42,11 @@ def encoder():
 
     lines = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes().splitlines()
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def encode(text: str) -> list[int]:
-    return encoder().encode_ordinary(text)
+    return encoder().encode(text, allowed_special="all")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
