@@ -5,7 +5,9 @@ that is too short is dropped.  Positions come from splitting the text at the
 pattern: the lengths of what lies between the matches and of the matches add up.
 
 Weak candidates are parts of a credential that say little alone: identifiers
-(``id``), low-entropy keys (``key``) and service addresses (``endpoint``).  An
+(``id``), low-entropy keys (``key``) and service addresses (``endpoint``).  Each
+kind is matched on its own, so an address holds the identifiers and keys of its
+query string, and they link with it and with each other.  An
 interval join within a document, on buckets of the parts' scopes, keeps a key
 that has an identifier or endpoint in its scope, and an identifier or endpoint
 that has a key there; strong ``access`` and ``assign`` spans count as identifier
@@ -32,7 +34,9 @@ HEX = r"[0-9a-f]{24,}"
 ID = r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
 KEY = r"""(?:pwd|passphrase|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
 ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
+# WEAK is the kinds merged, for tests of texts in which none overlap.
 WEAK = f"(?i)(?:{ID}|{KEY}|{ENDPOINT})"
+WEAK_KINDS = {3: f"(?i)(?:{ID})", 4: f"(?i)(?:{KEY})", 5: f"(?i)(?:{ENDPOINT})"}
 
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 #: Code points around a part within which its complement must start.
@@ -59,14 +63,8 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), folded).otherwise(start["found"])
 
 
-def _spans(found: Column, kind: Column | int) -> Column:
-    of = (lambda m: F.lit(kind)) if isinstance(kind, int) else kind
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), of(m).alias("kind"), m["end"].alias("end")))
-
-
-def _weak_kind(m: Column) -> Column:
-    hit = m["hit"]
-    return F.when(hit.rlike(f"^(?i:{ID})"), F.lit(3)).when(hit.rlike(f"^(?i:{KEY})"), F.lit(4)).otherwise(F.lit(5))
+def _spans(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def _text_of(spans: Column) -> Column:
@@ -80,7 +78,7 @@ def scan(texts: DataFrame) -> DataFrame:
     assign = F.filter(_matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 6)
     found = texts.select(
         "*", _spans(assign, 0).cast(_SPAN).alias("assign"), _spans(_matches(text, ACCESS), 1).cast(_SPAN).alias("access"),
-        _spans(_matches(text, HEX), 2).cast(_SPAN).alias("hex"), _spans(_matches(text, WEAK), _weak_kind).cast(_SPAN).alias("weak"),
+        _spans(_matches(text, HEX), 2).cast(_SPAN).alias("hex"), F.concat(*(_spans(_matches(text, p), k).cast(_SPAN) for k, p in WEAK_KINDS.items())).alias("weak"),
     )
     return found.drop("text")
 
