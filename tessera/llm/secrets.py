@@ -39,7 +39,7 @@ WEAK = f"(?i)(?:{ID}|{KEY}|{ENDPOINT})"
 WEAK_KINDS = {3: f"(?i)(?:{ID})", 4: f"(?i)(?:{KEY})", 5: f"(?i)(?:{ENDPOINT})"}
 
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
-#: Code points around a part within which its complement must start.
+#: Code points around a part that its complement must touch.
 SCOPE = 200
 MASK = "[REDACTED]"
 
@@ -84,18 +84,18 @@ def scan(texts: DataFrame) -> DataFrame:
 
 
 def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """row, linked: the weak spans whose complementary part starts in their scope."""
+    """row, linked: the weak spans whose complementary part touches their scope."""
     weak = rows.filter(F.size("weak") > 0)
     parts = weak.select("row", F.explode(F.concat("weak", "assign", "access")).alias("s")).select("row", "s.*")
     parts = parts.withColumn("role", F.when(F.col("kind").isin(0, 4), "key").when(F.col("kind").isin(1, 3), "id").otherwise("endpoint"))
-    bucket = F.col("start").cast("long")
-    other = parts.select("row", F.expr(f"start div {scope}").alias("bucket"), bucket.alias("at"), (F.col("role") == "key").alias("is_key"))
+    met = F.explode(F.sequence(F.expr(f"start div {scope}"), F.expr(f"end div {scope}")))
+    other = parts.select("row", met.alias("bucket"), F.col("start").alias("lo"), F.col("end").alias("hi"), (F.col("role") == "key").alias("is_key"))
     reach = F.sequence(F.expr(f"greatest(start - {scope}, 0) div {scope}"), F.expr(f"(end + {scope}) div {scope}"))
     mine = parts.filter("kind >= 3").withColumn("bucket", F.explode(reach))
     joined = mine.alias("m").join(
         other.alias("o"),
         (F.col("m.row") == F.col("o.row")) & (F.col("m.bucket") == F.col("o.bucket")) & ((F.col("m.role") == "key") != F.col("o.is_key"))
-        & F.col("o.at").between(F.col("m.start") - scope, F.col("m.end") + scope),
+        & (F.col("o.lo") <= F.col("m.end") + scope) & (F.col("o.hi") >= F.col("m.start") - scope),
         "left_semi",
     )
     return joined.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))

@@ -37,3 +37,11 @@ def check(spark, texts: list[str]) -> list[str]:
 def test_parts_within_an_address(spark, key):
     masked = check(spark, [f"go https://api.example.com/login?user=alice&{key}=hunter2hunter now", "https://api.example.com/login?user=alice", f"é user: auth=abcdefgh {key}: user=abcdefgh"])
     assert masked[0] == f"go {secrets.MASK} now" and masked[1].startswith("https")
+
+
+@pytest.mark.parametrize("gap", [0, 199, 200, 201])
+def test_long_complements_link_by_their_end(spark, gap):
+    pad, long = " " * gap, "Z" * 600
+    texts = [f"token={long}{pad}user: alice", f"user: alice{pad} token={long}", f"auth={long}{pad} user: alice", f"https://a.example.com/{long}{pad} pwd: hunter2hunter", f"é {pad}pwd: hunter2hunter{pad} user: {long}{pad} auth: abcdefgh"]
+    masked = check(spark, texts)
+    assert ("alice" in masked[0]) == (gap > 200)
