@@ -138,16 +138,20 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
     return out
 
 
-def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and vec, the document's vector as little-endian 32-bit floats."""
+def document_vectors(docs: DataFrame, vectors: np.ndarray, with_digest: bool = False) -> DataFrame:
+    """doc_id and vec, the document's vector as little-endian 32-bit floats; ``with_digest`` adds text_sha256."""
+    more = ["text_sha256"] if with_digest else []
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             vecs = pooled(*flat(batch.column("text")), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v.tobytes() for v in vecs], pa.binary())], names=["doc_id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v.tobytes() for v in vecs], pa.binary()), *map(batch.column, more)], names=["doc_id", "vec", *more])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, vec binary")
+    texts = id_text(docs)
+    if not with_digest:
+        return texts.mapInArrow(run, "doc_id long, vec binary")
+    return texts.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(run, "doc_id long, vec binary, text_sha256 string")
 
 
 class Network:
@@ -210,27 +214,35 @@ def fit(vecs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network:
     """A network fitted on at most ``rows`` labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    table = vecs.join(known, "doc_id").toPandas().sort_values(["doc_id", "y", "vec"])  # bounded by `rows` and their copies
+    table = vecs.select("doc_id", "vec").join(known, "doc_id").toPandas().sort_values(["doc_id", "y", "vec"])  # bounded by `rows` and their copies
     x = np.frombuffer(b"".join(table["vec"].tolist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
     return Network(x, table["y"].to_numpy().astype(np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from 0.5 on)."""
-    vecs = stash(document_vectors(docs, word_vectors(docs)), "vectors")
+def score_quality(docs: DataFrame, labels: DataFrame, with_digest: bool = False) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from 0.5 on).
+
+    ``with_digest`` adds text_sha256, by which a caller can join the texts again.
+    """
+    more = ["text_sha256"] if with_digest else []
+    vecs = stash(document_vectors(docs, word_vectors(docs), with_digest), "vectors")
     network = fit(vecs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = flat(batch.column("vec"))[0].view("<f4").reshape(-1, WIDTH).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(network(x), pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(network(x), pa.float64()), *map(batch.column, more)], names=["doc_id", "score", *more])
 
-    scores = vecs.mapInArrow(run, "doc_id long, score double")
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scores = vecs.mapInArrow(run, "doc_id long, score double" + (", text_sha256 string" if with_digest else ""))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with its own columns, without the documents predicted to be of label 0."""
-    bad = score_quality(docs, labels).filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+    """``docs`` with its own columns, without the rows predicted to be of label 0.
+
+    A row goes by its doc_id, null or not, and its text: another text of the same doc_id stays.
+    """
+    bad = score_quality(docs, labels, with_digest=True).filter("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (sha == bad["_sha"]), "left_anti")
