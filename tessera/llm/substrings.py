@@ -6,11 +6,15 @@ smaller doc_id is removed; windows are judged on the input.
 All windows are hashed, but only those that can repeat travel.  A window holds
 eight successive six-word grams; the least of their hashes is its anchor, and
 equal windows have equal anchors.  Anchors, far fewer than windows, are counted
-first (combinable minimum and maximum of doc_id); only windows whose anchor two
-documents share are then counted by their 128-bit hash.  Windows with a smaller
-first document come back to their document, where overlapping ones merge into
-maximal intervals.  The texts are dealt out once, and that exchange is used for
-the windows and for the final cut.
+first (combinable least and greatest mark of the texts that hold them); only
+windows whose anchor two texts share are then counted by their 128-bit hash.
+Windows with a smaller first document come back to their document, where
+overlapping ones merge into maximal intervals.  Of equal texts only that of the
+least doc_id sends windows: of the others every window starts there too.  The
+texts are dealt out by document, and each job uses that exchange once.
+
+A word's two 64-bit hashes come from bijective mixes of its bytes, not from a sum
+of powers modulo 2**64, under which some words are equal by construction.
 
 Defined results: a null text has no words; rows of one doc_id are no documents
 with a smaller id to each other; a null doc_id is smaller than none and loses
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, flat, id_text, mix, slices, stash, words
+from .common import flat, id_text, mix, slices, span_hashes, stash, words
 
 WINDOW = 13
 #: Words of a gram; a window holds WINDOW - GRAM + 1 of them.
 GRAM = 6
 
-_FIRST, _SECOND = SpanHash(0x2545F4914F6CDD1D), SpanHash(0x9E6C63D0876A9A47 | 1)
+#: What names a document's row on its way: another text of the same doc_id is another.
+KEY = ["doc_id", "digest"]
+
 _STEP, _OTHER = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
@@ -56,27 +62,31 @@ def _starts(bounds: np.ndarray, window: int) -> np.ndarray:
     return first + np.arange(counts.sum())
 
 
-def _anchored(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """Starts, ends, row bounds, word hashes, window starts and their anchors."""
+def _anchored(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, count: int = 1):
+    """Row bounds, ``count`` hashes of each word, window starts and their anchors."""
     starts, ends, bounds = words(data, offsets)
-    hashes = _FIRST(data, starts, ends)
-    grams = rolling(hashes, gram, _STEP)
+    hashes = span_hashes(data, starts, ends, count)
+    grams = rolling(hashes[0], gram, _STEP)
     at = _starts(bounds, window)
     anchors = grams[at]
     for j in range(1, window - gram + 1):
         np.minimum(anchors, grams[at + j], out=anchors)
-    return starts, ends, bounds, hashes, at, anchors
+    return bounds, hashes, at, anchors
 
 
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, _, bounds, _, at, anchors = _anchored(*flat(batch.column("text")), window, gram)
+            bounds, _, at, anchors = _anchored(*flat(batch.column("text")), window, gram)
             row = np.searchsorted(bounds, at, side="right") - 1
             new = np.ones(len(at), bool)
             new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
             row, anchors = row[new], anchors[new]
-            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "digest"))], names=["anchor", "doc_id", "digest"])
+            digest, other = (batch.column(c).to_numpy().view(np.uint64)[row] for c in ("digest", "other"))
+            mark = digest * (anchors | np.uint64(1)) + other  # by both digests: unequal texts differ under each anchor anew
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors.view(np.int64)), pa.array(mark.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in KEY)], names=["anchor", "mark", *KEY]
+            )
 
     return run
 
@@ -84,18 +94,16 @@ def _anchors(window: int, gram: int):
 def _windows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, offsets = flat(batch.column("text"))
-            starts, ends, bounds, hashes, at, anchors = _anchored(data, offsets, window, gram)
+            bounds, hashes, at, anchors = _anchored(*flat(batch.column("text")), window, gram, 2)
             first = np.searchsorted(at, bounds)
             shared = batch.column("shared")
             keep = [np.isin(anchors[first[i] : first[i + 1]], np.asarray(shared[i].values, np.int64).view(np.uint64)) for i in range(batch.num_rows)]
-            at = at[np.concatenate(keep)] if keep else at
+            at = at[np.concatenate(keep)]
             row = np.searchsorted(bounds, at, side="right") - 1
-            h1 = rolling(hashes, window, _OTHER)[at] if len(at) else at.astype(np.uint64)
-            h2 = rolling(_SECOND(data, starts, ends), window, _STEP)[at] if len(at) else at.astype(np.uint64)
+            h1, h2 = (rolling(h, window, step)[at] if len(at) else at.astype(np.uint64) for h, step in zip(hashes, (_OTHER, _STEP)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "digest")), pa.array((at - bounds[row]).astype(np.int32))],
-                names=["h1", "h2", "doc_id", "digest", "at"],
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in KEY), pa.array((at - bounds[row]).astype(np.int32))],
+                names=["h1", "h2", *KEY, "at"],
             )
 
     return run
@@ -122,8 +130,10 @@ def _cut(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc_id, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
+            for doc_id, text, at, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "copy"))):
                 found = text.encode().split()
+                if copy:
+                    at = range(max(len(found) - window + 1, 0))
                 mask = removed_mask(len(found), np.array(at, np.int64), window) if at else np.zeros(len(found), bool)
                 cuts = intervals(mask)
                 if cuts:
@@ -154,17 +164,27 @@ def _of_document(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), how).drop("_id", "_digest")
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """The key of every row whose text a document with a smaller doc_id has as a whole."""
+    known = stash(texts.select(*KEY, F.sha2("text", 256).alias("sha")), "digests")
+    least = stash(known.groupBy("sha").agg(F.min("doc_id").alias("least")), "least")  # read back, a text of very many rows can be split in the join
+    return stash(known.join(least, "sha").filter("doc_id > least").select(*KEY).distinct(), "copies")
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; with ``keep_text``
     also intervals (removed words, first and beyond) and kept (the text left)."""
-    key = ["doc_id", "digest"]
     texts = id_text(docs).withColumn("digest", F.xxhash64("text"))
-    anchors = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window, gram), "anchor long, doc_id long, digest long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("anchor")
+    copies = _copies(texts)
+    marked = texts.withColumn("other", F.xxhash64(F.lit(1), "text")).filter(F.col("doc_id").isNotNull())
+    anchors = marked.mapInArrow(_anchors(window, gram), "anchor long, mark long, doc_id long, digest long")
+    shared = anchors.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("anchor")
     shared = stash(shared, "shared")  # read back, it comes to the join by an exchange of its own, so a skewed anchor can be split
-    lists = stash(anchors.join(shared, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("shared")), "anchors")
+    lists = anchors.select("anchor", *KEY).join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared"))
+    lists = stash(lists.join(copies, KEY, "left_anti"), "anchors")
     windows = _of_document(texts, lists, "inner").mapInArrow(_windows(window, gram), "h1 long, h2 long, doc_id long, digest long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
     first = stash(first, "repeated")  # likewise for skewed windows
-    again = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy(key).agg(F.collect_set("at").alias("at"))
-    return _of_document(texts, again, "left").mapInArrow(_cut(window, keep_text), _CUT + (", intervals array<struct<first:long,beyond:long>>, kept string" if keep_text else ""))
+    again = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy(KEY).agg(F.collect_set("at").alias("at"))
+    found = again.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    return _of_document(texts, found, "left").mapInArrow(_cut(window, keep_text), _CUT + (", intervals array<struct<first:long,beyond:long>>, kept string" if keep_text else ""))
