@@ -10,10 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset: a temporary one in
+    local mode, and a folder of the warehouse, which a cluster shares, otherwise."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
+        if spark.sparkContext.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
