@@ -6,53 +6,27 @@ every executor and the driver share, so a lost executor never loses them.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path
 from ..session import ship_package
 
 #: Bytes of text that one numpy pass takes; a longer text is one pass of its own.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has gone: the folder's owner clears it
-        pass
-
-
-def new_table(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{label}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
-    path = new_table(spark, label)
-    df.write.parquet(path)
+    path = scratch_path(spark, label)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +40,17 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``docs`` with its own columns: of the rows of each (doc_id, text_sha256) of
+    ``kept``, null ids included, one."""
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_sha"))
+    rows = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
+    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id")))
+    return one.filter("_n = 1").select("_row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column``."""
     for batch in batches:

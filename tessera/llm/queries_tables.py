@@ -29,7 +29,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_audio(store_audio(documents(spark, sf_dir)))
+    """The files are written and read back; the resampled PCM is a column of the result."""
+    media = stash(store_audio(documents(spark, sf_dir)), "media", codec="zstd")
+    return decode_audio(media, keep_pcm=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece_sampling, op6_sharding, op8_best_fit_packing, op10_telephony_audio)}

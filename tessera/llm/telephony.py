@@ -136,7 +136,10 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, the WAVE file of every document."""
+    """doc_id, n_bytes and media, the WAVE file of every document.
+
+    The rows are written by whoever keeps them; ``decode_audio`` reads them back.
+    """
     return id_text(docs).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
