@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_text, slices, stash
+from .common import flat, id_text, keep_rows, slices, stash
 
 PRIMES = np.array([2147483647, 2147483629], np.uint64)
 BASES = (1000003, 1327217885)
@@ -115,10 +115,13 @@ def _fingerprinted(texts: DataFrame, chunk_bytes: int) -> DataFrame:
     return plain.unionByName(whole.drop("row"))
 
 
-def unequal(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Keys of ``groups`` under which two texts differ, found by a chunkwise comparison."""
-    rows = texts.select(F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "UTF-8").alias("body"), F.encode("text", "UTF-8").alias("bytes"), F.lit(0).cast("long").alias("after"))
-    same = _hashed(rows).join(groups.select(KEY), KEY, "left_semi")
+def unequal(texts: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Keys of ``groups`` under which two texts differ, found by a chunkwise comparison;
+    ``rows`` are the texts' fingerprints."""
+    named = rows.join(groups.select(KEY), KEY, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), *KEY).distinct()
+    named = stash(named, "named")  # of known size: a small one is broadcast, and of a large one a hot key can be split
+    bodies = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.encode("text", "UTF-8").alias("bytes"))
+    same = bodies.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
     # Grouped by a struct, the chunks don't inherit the join's partitioning: a large group's rows can be split and are combined per task.
     parts = same.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n_bytes - 1, 0L) div {COMPARE_BYTES}")))).select(
         F.struct(*KEY).alias("key"), "at", F.expr(f"substring(bytes, cast(at * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES})").alias("part")
@@ -134,7 +137,7 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     texts = id_text(docs)
     rows = stash(_fingerprinted(texts, chunk_bytes).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     several = stash(rows.groupBy(KEY).count().filter("count > 1"), "several")
-    bad = stash(unequal(texts, several).withColumn("split", F.lit(True)), "unequal")
+    bad = stash(unequal(texts, rows, several).withColumn("split", F.lit(True)), "unequal")
     rows = rows.join(bad, KEY, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split")
     key = [*KEY, "part"]
     groups = rows.groupBy(key).agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
@@ -146,9 +149,4 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, one row of each group of equal texts."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_sha"))
-    rows = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
-    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id")))
-    return one.filter("_n = 1").select("_row.*")
+    return keep_rows(docs, exact_dedup(docs).filter("kept"))
