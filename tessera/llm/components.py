@@ -3,7 +3,8 @@
 Every round replaces the edges of a node by edges to its least neighbour, first
 on the greater side, then on the smaller, until nothing changes; what is left
 are stars around the least node of each component.  Each round is a combinable
-minimum per node and a join on it, written to the shared folder.  Nothing is
+minimum per node and a join on it, both written to the shared folder: the minima
+come to the join by an exchange of their own, so a hub can be split.  Nothing is
 gathered on the driver but a count and a checksum.
 """
 
@@ -17,13 +18,13 @@ from .common import stash
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges point from the greater node u to the smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

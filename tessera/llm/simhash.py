@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stash
+from .common import id_text, keep_rows, slices, stash
 from .components import components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Hashes whose bits are counted at a time.
+COUNTED = 1 << 16
 #: Fingerprints of a bucket's part.
 PART = 2048
 
@@ -53,15 +55,19 @@ def fingerprint(text: str, k: int = SHINGLE, seed: int = SEED) -> int:
     span = min(k, len(words))
     of = xxhash.xxh64_intdigest
     hashes = [of(joined[a:b], seed) for a, b in zip(starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_ = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), COUNTED):
+        part = np.array(hashes[lo : lo + COUNTED], "<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    set_ = 2 * counts > len(hashes)
     return int(np.packbits(set_, bitorder="little").view("<u8")[0])
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(values.view(np.int64))], names=[*kept, "fp"])
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> list[int]:
@@ -131,7 +137,7 @@ def links(points: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
     masks = [_signed(m) for m in covering_masks(radius)]
     tables = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
     entries = points.select("fp", tables.alias("e")).select("e.t", "e.key", "fp")
-    crowded = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = stash(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")  # read back, a large bucket can be split in the join
     parts = F.expr(f"(n + {part - 1}) div {part}")
     rows = entries.join(crowded, ["t", "key"]).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -140,19 +146,27 @@ def links(points: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
     return rows.repartition(*group).sortWithinPartitions(*group, "fp").mapInArrow(_linked(radius), "u long, v long")
 
 
+def _rooted(docs: DataFrame, radius: int, with_digest: bool = False) -> DataFrame:
+    """doc_id, fp and root (the same for all that reach each other) of every row; ``with_digest`` adds text_sha256."""
+    texts = id_text(docs)
+    if with_digest:
+        texts = texts.withColumn("text_sha256", F.sha2("text", 256))
+    rows = stash(texts.mapInArrow(_fingerprinted, "doc_id long, " + ("text_sha256 string, " if with_digest else "") + "fp long"), "simhash")
+    points = stash(rows.select("fp").distinct(), "points")
+    roots = stash(components(links(points, radius)), "roots")
+    named = stash(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable)."""
-    rows = stash(id_text(docs).mapInArrow(_fingerprinted, "doc_id long, fp long"), "simhash")
-    points = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = stash(components(links(points.select("fp"), radius)), "roots")
-    named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = _rooted(docs, radius)
+    least = stash(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # read back, a giant component can be split in the join
+    return rooted.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with its own columns, of each component the row of the least doc_id
-    (rows with a null doc_id stay: nothing names them)."""
-    drop = near_duplicates(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
+    """``docs`` with its own columns, one row of each component: that of the least
+    doc_id, null last, then of the least SHA-256 of its text."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_sha256"))
+    return keep_rows(docs, _rooted(docs, radius, with_digest=True).groupBy("root").agg(first.alias("first")).select("first.*"))
