@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, stash
+from .common import id_text, slices, stash
 from .tokens import token_bytes
 
 SEQUENCE = 1024
@@ -47,7 +47,7 @@ def cut(n: int, size: int) -> Iterator[tuple[int, int]]:
 
 def _pieces(size: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = token_bytes(text, end)

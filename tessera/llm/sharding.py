@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_table, stash
+from ..scratch import scratch_path
+from .common import stash
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
@@ -160,7 +161,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
         slot_map = load_map(spark, map_path)
         slot_map = all_slots(slot_map, slot_map.agg(F.max("shard")).first()[0] + 1, slots)
     else:
-        slot_map = store_map(deal(slot_sizes(rows), shards, slots), map_path or new_table(spark, "slot-map"))
+        slot_map = store_map(deal(slot_sizes(rows), shards, slots), map_path or scratch_path(spark, "slot-map"))
     return place(rows, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version"
     )
