@@ -106,8 +106,8 @@ def char(n: Column) -> Column:
 
 
 def to_hex(n: Column) -> Column:
-    """Small hexadecimal digits; 32-bit integers wrap at 32 bits."""
-    return F.lower(F.hex(n))
+    """Small hexadecimal digits; integers of up to 32 bits wrap at 32 bits."""
+    return F.when(F.typeof(n).isin("int", "smallint", "tinyint"), to_hex32(n)).otherwise(F.lower(F.hex(n)))
 
 
 def to_hex32(n: Column) -> Column:

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import copy
 import json
+import time
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
@@ -29,6 +31,10 @@ from pyspark.sql import types as T
 from .types import type_of
 
 MAX_CASCADE = 64
+#: Seconds for which VACUUM leaves what an open transaction may still need.
+HORIZON = 24 * 3600.0
+#: Rows that ANALYZE looks at.
+SAMPLE = 30_000
 
 
 class SqlError(Exception):
@@ -100,14 +106,23 @@ class Database:
             stream.close()
 
     def _publish(self, catalog: dict) -> None:
-        fs, target = self._fs(), self._path("_catalog", f"{catalog['version']:012d}.json")
+        """Make a whole draft appear under a name that nobody has: the step is atomic and
+        fails where the name is taken."""
+        jvm, fs, target = self.spark._jvm, self._fs(), self._path("_catalog", f"{catalog['version']:012d}.json")
         draft = self._path("_catalog", f".{uuid.uuid4().hex}")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(catalog).encode()))
         out.close()
         try:
-            if fs.exists(target) or not fs.rename(draft, target):
-                raise SqlError("40001", "could not serialize access due to concurrent update")
+            if fs.getUri().getScheme() == "file":
+                jvm.java.nio.file.Files.createLink(*(jvm.java.nio.file.Path.of(fs.makeQualified(p).toUri()) for p in (target, draft)))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, target, options)
+        except Exception as e:
+            if fs.exists(target):
+                raise SqlError("40001", "could not serialize access due to concurrent update") from e
+            raise
         finally:
             fs.delete(draft, False)
 
@@ -197,17 +212,20 @@ class Database:
         kinds = ((c["name"], type_of(c["type"])) for c in meta["columns"])
         return T.StructType([T.StructField(n, T.StringType() if isinstance(k, (T.CharType, T.VarcharType)) else k) for n, k in kinds])
 
-    def _read(self, meta: dict) -> DataFrame:
+    def _read(self, meta: dict, ids: bool = False) -> DataFrame:
+        """The rows; with ``ids`` also _id, a row's file and place in it, which no second read changes."""
         schema = self._schema(meta)
         if not meta["data"]:
-            return self.spark.createDataFrame([], schema)
+            none = self.spark.createDataFrame([], schema)
+            return none.withColumn("_id", F.lit(None).cast("struct<file:string,row:bigint>")) if ids else none
         stored = meta["stored"]  # name in the files by column, or the default that late columns read
         present = T.StructType([T.StructField(stored[f.name]["as"], f.dataType) for f in schema if "as" in stored[f.name]])
-        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(present).parquet(*meta["data"])])
-        out = []
+        rows, out = self.spark.read.schema(present).parquet(*meta["data"]), []
         for f in schema:
             s = stored[f.name]
             out.append((F.col(s["as"]) if "as" in s else F.expr(s["default"]).cast(f.dataType)).alias(f.name))
+        if ids:
+            out.append(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_id"))
         return rows.select(*out)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
@@ -268,10 +286,14 @@ class Database:
             if not child.join(parent, on, "left_anti").isEmpty():
                 raise SqlError("23503", f'insert or update on table "{name}" violates foreign key constraint "{key["name"]}"')
 
-    def _check_unique(self, name: str) -> None:
+    def _check_unique(self, name: str, changed: DataFrame | None = None) -> None:
+        """Every unique key, or only the keys that the ``changed`` rows have."""
         rows = self._read(self._meta(name))
         for key, columns in self._meta(name)["unique"].items():
-            if not rows.dropna(subset=columns).groupBy(*columns).count().filter("count > 1").isEmpty():
+            some = rows.dropna(subset=columns)
+            if changed is not None:
+                some = some.join(changed.select(*columns).distinct(), columns, "left_semi")
+            if not some.groupBy(*columns).count().filter("count > 1").isEmpty():
                 raise SqlError("23505", f'duplicate key value violates unique constraint "{key}"')
 
     def _defaults(self, meta: dict, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -311,11 +333,11 @@ class Database:
                 return self._upsert(name, full, conflict)
             stored = self._store(name, full, append=True)
             self._check_rows(name, stored)
-            self._check_unique(name)
+            self._check_unique(name, stored)
             return stored
 
         out = self._statement(run)
-        return out.selectExpr(*returning) if returning else None
+        return out.alias(name).selectExpr(*returning) if returning else None
 
     def _upsert(self, name: str, full: DataFrame, conflict: Conflict) -> DataFrame:
         """A conflict on any unique key of the table triggers the action."""
@@ -324,7 +346,7 @@ class Database:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         full.withColumn("_new", F.monotonically_increasing_id()).write.parquet(path)
         new = self.spark.read.parquet(path).toDF(*(f"x_{n}" for n in names), "_new")
-        old = self._read(meta).withColumn("_old", F.monotonically_increasing_id())
+        old = self._read(meta, ids=True).withColumnRenamed("_id", "_old")
         pairs = [old.join(new, [F.col(c) == F.col(f"x_{c}") for c in key]).select("_old", "_new") for key in keys]
         hits = reduce(DataFrame.union, pairs).distinct() if pairs else old.join(new, F.lit(False)).select("_old", "_new")
         first = hits.groupBy("_new").agg(F.min("_old").alias("_old"))
@@ -335,7 +357,7 @@ class Database:
         if not conflict.set:
             stored = self._store(name, fresh.join(again, "_new", "left_anti").select(*back), append=True)
             self._check_rows(name, stored)
-            self._check_unique(name)
+            self._check_unique(name, stored)
             return stored
         if not again.isEmpty() or not first.groupBy("_old").count().filter("count > 1").isEmpty():
             raise SqlError("21000", "ON CONFLICT DO UPDATE command cannot affect row a second time")
@@ -347,21 +369,26 @@ class Database:
         return self._rewrite(name, everything)
 
     def _rewrite(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replace the table by ``rows``, of which those with ``_hit`` changed; they are returned."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(path)  # once: what is checked is what is stored
-        staged = self.spark.read.schema(rows.schema).parquet(path)
-        self._store(name, staged.drop("_hit"))
-        changed = staged.filter("_hit").drop("_hit")
+        """Replace the table by ``rows``, of which those with ``_hit`` changed; they are returned.
+
+        The rows are written once, _hit beside them: what is checked is what is stored.
+        """
+        meta, path = self._meta(name), f"{self.root}/{name}-{uuid.uuid4().hex}"
+        schema = self._schema(meta)
+        assigned = rows.select(*(self._assigned(F.col(c["name"]), c).alias(c["name"]) for c in meta["columns"]), "_hit")
+        assigned.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "_hit").write.parquet(path)
+        meta["data"], meta["stored"] = [path], {f.name: {"as": f.name} for f in schema}
+        self._touched.add(name)
+        changed = self.spark.read.schema(T.StructType([*schema, T.StructField("_hit", T.BooleanType())])).parquet(path).filter("_hit").drop("_hit")
         self._check_rows(name, changed)
-        self._check_unique(name)
+        self._check_unique(name, changed)
         return changed
 
-    def update(self, name: str, set: dict[str, str], where: str | None = None, source: DataFrame | None = None, returning: Sequence[str] | None = None) -> DataFrame | None:
+    def update(self, name: str, set: dict[str, str], where: str | None = None, source: DataFrame | None = None, returning: Sequence[str] | None = None, alias: str | None = None) -> DataFrame | None:
         """UPDATE ... SET ... FROM source; of several matches of a row one wins (the least).
 
-        ``where`` and the values are SQL over the table's columns and the source's,
-        whose names must differ.
+        ``where`` and the values are SQL over the table's columns and the source's;
+        names that both have are qualified by the table's or ``alias`` and the source's.
         """
 
         def run() -> DataFrame:
@@ -369,9 +396,7 @@ class Database:
             names = [c["name"] for c in meta["columns"]]
             if unknown := [c for c in set if c not in names]:
                 raise SqlError("42703", f'column "{unknown[0]}" of relation "{name}" does not exist')
-            path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-            self._read(meta).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-            rows = self.spark.read.parquet(path)
+            rows = self._read(meta, ids=True).alias(alias or name)
             condition = F.expr(where) if where else F.lit(True)
             values = [F.expr(e).alias(f"_v{i}") for i, e in enumerate(set.values())]
             if source is None:
@@ -390,15 +415,13 @@ class Database:
             return changed
 
         out = self._statement(run)
-        return out.selectExpr(*returning) if returning else None
+        return out.alias(name).selectExpr(*returning) if returning else None
 
-    def delete(self, name: str, where: str | None = None, using: DataFrame | None = None, returning: Sequence[str] | None = None) -> DataFrame | None:
+    def delete(self, name: str, where: str | None = None, using: DataFrame | None = None, returning: Sequence[str] | None = None, alias: str | None = None) -> DataFrame | None:
         """DELETE FROM ... USING source WHERE ...; a null condition deletes nothing."""
 
         def run() -> DataFrame:
-            path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-            self._read(self._meta(name)).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-            rows = self.spark.read.parquet(path)
+            rows = self._read(self._meta(name), ids=True).alias(alias or name)
             condition = F.expr(where) if where else F.lit(True)
             gone = rows.filter(condition) if using is None else rows.join(using, condition, "left_semi")
             gone = gone.select("_id")
@@ -408,7 +431,7 @@ class Database:
             return deleted
 
         out = self._statement(run)
-        return out.selectExpr(*returning) if returning else None
+        return out.alias(name).selectExpr(*returning) if returning else None
 
     # --- referential actions
 
@@ -424,9 +447,7 @@ class Database:
         for child, key in self._references_to(name):
             left = self._read(self._meta(name)).select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(key["references"])))
             gone = deleted.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(key["references"]))).distinct().join(left, [f"_p{i}" for i in range(len(key["columns"]))], "left_anti")
-            path = f"{self.root}/{child}-{uuid.uuid4().hex}"
-            self._read(self._meta(child)).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-            rows = self.spark.read.parquet(path)
+            rows = self._read(self._meta(child), ids=True)
             hits = rows.join(gone, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(key["columns"])], "left_semi")
             if hits.isEmpty():
                 continue
@@ -719,31 +740,46 @@ class Database:
 
     # --- upkeep
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove row folders that the last ``keep`` versions don't use; their number."""
+    def vacuum(self, keep: int = 1, horizon: float = HORIZON) -> int:
+        """Remove row folders that neither the last ``keep`` versions nor the open
+        transaction use; their number.
+
+        Other sessions may have written rows that they have yet to commit, and may read
+        versions they pinned: folders and versions younger than ``horizon`` seconds stay.
+        """
+        fs, gone, now = self._fs(), 0, time.time()
+        old = lambda path: now - fs.getFileStatus(path).getModificationTime() / 1000 >= horizon
         versions = self._versions()
-        used = {p.rsplit("/", 1)[1] for v in versions[-keep:] for t in self.at_version(v)["tables"].values() for p in t["data"]}
-        fs, gone = self._fs(), 0
+        stale = [v for v in versions[:-keep] if old(self._path("_catalog", f"{v:012d}.json"))]
+        catalogs = [self.at_version(v) for v in versions if v not in stale] + [c for c in (self._work, self._base) if c]
+        used = {p.rsplit("/", 1)[1] for catalog in catalogs for t in catalog["tables"].values() for p in t["data"]}
         for f in fs.listStatus(self._path()):
             folder = f.getPath().getName()
-            if folder != "_catalog" and folder not in used:
+            if folder != "_catalog" and folder not in used and old(f.getPath()):
                 fs.delete(f.getPath(), True)
                 gone += 1
-        for v in versions[:-keep]:
+        for v in stale:
             fs.delete(self._path("_catalog", f"{v:012d}.json"), False)
         return gone
 
     def analyze(self, name: str, buckets: int = 20, common: int = 10) -> list[dict]:
-        """Per column: share of nulls, distinct values, most common values and a histogram's bounds."""
-        rows, out = self.table(name), []
+        """Per column: share of nulls, distinct values, most common values and a histogram's
+        bounds, from a sample of at most ``SAMPLE`` rows; exact for smaller tables."""
+        rows = self.table(name)
         total = rows.count()
-        for f in rows.schema:
-            c = F.col(f.name)
-            about = rows.agg(F.count(c).alias("n"), F.approx_count_distinct(c).alias("d")).first()
-            most = rows.dropna(subset=[f.name]).groupBy(c.alias("v")).count().orderBy(F.desc("count"), "v").limit(common).collect()
-            numeric = isinstance(f.dataType, T.NumericType)
-            bounds = rows.agg(F.percentile_approx(c.cast("double"), [i / buckets for i in range(buckets + 1)], 1000)).first()[0] if numeric else None
-            out.append({"column": f.name, "null_frac": 1 - about["n"] / total if total else 0.0, "n_distinct": about["d"], "common": [(r["v"], r["count"]) for r in most], "bounds": bounds})
+        if total > SAMPLE:
+            rows = rows.sample(min(1.0, 1.1 * SAMPLE / total), 7).limit(SAMPLE)
+        sample, out = [tuple(r) for r in rows.collect()], []
+        for i, f in enumerate(rows.schema):
+            values = [tuple(r[i]) if isinstance(r[i], list) else r[i] for r in sample if r[i] is not None]
+            counts = Counter(values)
+            n, d, once = len(values), len(counts), sum(c == 1 for c in counts.values())
+            whole = total * n / len(sample) if sample else 0
+            distinct = d if total <= SAMPLE else round(n * d / (n - once + once * n / whole)) if n else 0  # values seen once stand for unseen ones
+            most = sorted(counts.items(), key=lambda vc: (-vc[1], vc[0]))[:common]
+            ordered = sorted(values) if isinstance(f.dataType, T.NumericType) else []
+            bounds = [float(ordered[min(n - 1, j * n // buckets)]) for j in range(buckets + 1)] if ordered else None
+            out.append({"column": f.name, "null_frac": 1 - n / len(sample) if sample else 0.0, "n_distinct": distinct, "common": most, "bounds": bounds})
         return out
 
     def versions(self) -> list[int]:

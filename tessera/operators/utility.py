@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,10 @@ SWITCHES = {
     "enable_broadcast": ("spark.sql.autoBroadcastJoinThreshold", "10485760", "-1"),
     "enable_adaptive": ("spark.sql.adaptive.enabled", "true", "false"),
     "enable_cbo": ("spark.sql.cbo.enabled", "true", "false"),
+    "enable_mergejoin": ("spark.sql.join.preferSortMergeJoin", "true", "false"),
+    "enable_nestloop": ("spark.sql.crossJoin.enabled", "true", "false"),
+    "enable_indexscan": ("spark.sql.parquet.filterPushdown", "true", "false"),
+    "enable_seqscan": ("tessera.enable_seqscan", "true", "false"),  # every scan is one: kept and shown only
 }
 _NAMES = {"timezone": "spark.sql.session.timeZone", "work_partitions": "spark.sql.shuffle.partitions"}
 _shown: dict[str, str] = {}
@@ -50,7 +53,7 @@ def reset(spark: SparkSession, name: str) -> None:
 
 def prepare(spark: SparkSession, sql: str) -> Callable[..., DataFrame]:
     """A statement with parameters $1, $2, ...; call it with their values."""
-    from ..dialect import to_spark
+    from ..dialect import run_tokens, statement
 
-    text = re.sub(r"\$(\d+)", r":p\1", to_spark(sql))
-    return lambda *values: spark.sql(text, args={f"p{i + 1}": v for i, v in enumerate(values)})
+    tokens = statement(sql)
+    return lambda *values: run_tokens(spark, tokens, *values)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import relational as R
 from ..sources import load
-from .registry import both, query, whole
+from .registry import both, query
 
 _CENTS = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
@@ -88,13 +88,13 @@ def distinct_on(spark: SparkSession, folder: str) -> DataFrame:
     return R.distinct_on(o, ["o_custkey"], o.o_totalprice.desc_nulls_first(), o.o_orderkey.asc_nulls_last()).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-_A = "SELECT nullif(o_custkey % 20, 3) AS x, o_orderstatus AS s FROM orders WHERE o_orderkey <= 200"
-_B = "SELECT nullif(c_nationkey, 3) AS y, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS t FROM customer WHERE c_custkey <= 150"
+_A = "SELECT nullif(o_custkey % 20, 3) AS x, o_orderstatus AS s FROM orders"
+_B = "SELECT nullif(c_nationkey, 3) AS y, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS t FROM customer"
 
 
-def _sides(spark: SparkSession, folder: str, orders: str = "o_orderkey <= 200", customers: str = "c_custkey <= 150") -> tuple[DataFrame, DataFrame]:
-    a = load(spark, folder, "orders").filter(orders).selectExpr("nullif(o_custkey % 20, 3) AS x", "o_orderstatus AS s")
-    b = load(spark, folder, "customer").filter(customers).selectExpr("nullif(c_nationkey, 3) AS y", "CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS t")
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    a = load(spark, folder, "orders").selectExpr("nullif(o_custkey % 20, 3) AS x", "o_orderstatus AS s")
+    b = load(spark, folder, "customer").selectExpr("nullif(c_nationkey, 3) AS y", "CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS t")
     return a, b
 
 
@@ -103,7 +103,6 @@ for _name, _word, _f in (
     ("intersect_all", "INTERSECT ALL", R.intersect_all), ("except", "EXCEPT", R.except_), ("except_all", "EXCEPT ALL", R.except_all),
 ):
     query(f"{_A} {_word} {_B.replace('AS y', 'AS x')}", f"set_{_name}")(lambda spark, folder, f=_f: f(*_sides(spark, folder)))
-    whole(f"set_{_name}", " WHERE o_orderkey <= 200", " WHERE c_custkey <= 150", f=lambda spark, folder, f=_f: f(*_sides(spark, folder, "true", "true")))
 
 
 @query("SELECT x FROM (SELECT n_regionkey AS x FROM nation WHERE n_nationkey < 5 UNION ALL (SELECT r_regionkey FROM region INTERSECT SELECT n_regionkey FROM nation WHERE n_nationkey > 20)) t ORDER BY x LIMIT 6")

@@ -218,7 +218,11 @@ def truncate_and_drop(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([("nation", emptied, "nation" in db.tables()), ("region", kept, "region" in db.tables())], "t string, n long, still boolean")
 
 
-@query(None)
+def _statistics(column: str, sql: str) -> str:
+    return f"SELECT '{column}' AS column_name, CAST(count(*) - count({sql}) AS DOUBLE) / count(*) AS null_frac, count(DISTINCT {sql}) AS n_distinct, CAST(least(10, count(DISTINCT {sql})) AS INTEGER) AS common FROM customer"
+
+
+@query(" UNION ALL ".join(_statistics(*c) for c in (("id", "c_custkey"), ("name", "c_name"), ("nation", "c_nationkey"), ("balance", "CAST(c_acctbal AS DECIMAL(12,2))"))))
 def analyze_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Per column: share of nulls, distinct values and how many common values were kept."""
     db = _customers(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, bench, dml, extras, joins, predicates, scalars, scans, settings  # noqa: F401  they register their queries
+from . import aggregation, bench, dml, extras, joins, predicates, scalars, scans, settings, sqltext  # noqa: F401  they register their queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -37,19 +37,3 @@ def both(name: str, spark_sql: str, other_sql: str | None = None, **args) -> Non
     run.text = spark_sql
     QUERIES[name] = run
     ORACLE[name] = other_sql or spark_sql
-
-
-def whole(name: str, *filters: str, f: Query | None = None) -> None:
-    """Register ``name`` over all rows as ``name_whole``: its SQL without the id ``filters``.
-
-    ``f`` is the query without them, where it isn't a Spark SQL text.
-    """
-    sql, text = ORACLE[name], getattr(QUERIES[name], "text", "")
-    for part in filters:
-        if part not in sql:
-            raise ValueError(f"{name} has no filter {part!r}")
-        sql, text = sql.replace(part, ""), text.replace(part, "")
-    if f:
-        query(sql, f"{name}_whole")(f)
-    else:
-        both(f"{name}_whole", text, sql)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import call, datetimes, maths, strings, system
 from ..operators import types as K
 from ..sources import load
-from .registry import query, whole
+from .registry import query
 
 _X = "(SELECT p_partkey AS k, (p_partkey % 41 - 20) * 0.375 AS x, CAST((p_partkey % 41 - 20) * 0.375 AS DECIMAL(12,3)) AS n, p_size AS i FROM part) t"
 
@@ -155,15 +153,12 @@ def extract_fields(spark: SparkSession, folder: str) -> DataFrame:
 _UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year", "decade")
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{u}', o_orderdate) AS TIMESTAMP) AS {u}_" for u in _UNITS) + ", CASE WHEN year(o_orderdate) > 2000 THEN TIMESTAMP '2001-01-01 00:00:00' ELSE TIMESTAMP '1901-01-01 00:00:00' END AS century_ FROM orders WHERE o_orderkey <= 5000")
-def date_trunc_units(spark: SparkSession, folder: str, ids: str = "o_orderkey <= 5000") -> DataFrame:
-    o = load(spark, folder, "orders").filter(ids)
+@query("SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{u}', o_orderdate) AS TIMESTAMP) AS {u}_" for u in _UNITS) + ", CASE WHEN year(o_orderdate) > 2000 THEN TIMESTAMP '2001-01-01 00:00:00' ELSE TIMESTAMP '1901-01-01 00:00:00' END AS century_ FROM orders")
+def date_trunc_units(spark: SparkSession, folder: str) -> DataFrame:
+    o = load(spark, folder, "orders")
     return o.select("o_orderkey", *(datetimes.date_trunc(u, o.o_orderdate).alias(f"{u}_") for u in (*_UNITS, "century")))
 
 
-whole("date_trunc_units", " WHERE o_orderkey <= 5000", f=partial(date_trunc_units, ids="true"))
-
-
 @query(
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c, strftime(ts, '%d.%m.%y') AS short, CAST(make_date(2000 + event_id % 20, 1 + event_id % 12, 28) AS DATE) AS d,
        CAST(date_diff('second', TIMESTAMP '2000-01-01 00:00:00', date_trunc('second', ts)) AS BIGINT) AS age_seconds, CAST(round(CAST(value AS DECIMAL(20,4)), 2) AS VARCHAR) AS money FROM events"""

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import dialect
 from ..operators import relational as R
 from ..scratch import scratch_path
 from ..sources import copy_from, copy_to, load
 from ..sources.parquet import clustered
-from .registry import both, query, whole
+from .registry import both, query
 
 both("seq_scan", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.02")
 
@@ -83,18 +82,15 @@ def generate_series_numeric(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT CAST(generate_series AS TIMESTAMP) AS ts FROM generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-02 00:00:00', INTERVAL 5 HOUR)")
 def generate_series_timestamp(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2024-01-01 00:00:00', TIMESTAMP_NTZ'2024-01-02 00:00:00', INTERVAL '5' HOUR)) AS ts")
+    return dialect.run(spark, "SELECT ts FROM generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-01-02 00:00:00', interval '5 hours') AS s(ts)")
 
 
-@query("SELECT vec_id, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings WHERE vec_id < 5) t")
-def unnest_array(spark: SparkSession, folder: str, ids: str = "vec_id < 5") -> DataFrame:
-    rows = load(spark, folder, "embeddings").filter(ids)
+@query("SELECT vec_id, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings) t")
+def unnest_array(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "embeddings")
     return R.unnest(rows, "embedding", "e").select("vec_id", F.col("e").cast("double").alias("e"))
 
 
-whole("unnest_array", " WHERE vec_id < 5", f=partial(unnest_array, ids="true"))
-
-
 both("derived_table", "SELECT k, n FROM (SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey) AS t(k, n) WHERE n > 40")
 both(
     "cte",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -10,8 +11,16 @@ TABLES = (
 )
 
 
+#: Schemas by path and time of change, so that a table is not opened anew for each query.
+_schemas: dict[tuple[str, int], StructType] = {}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    key = path.toString(), path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(key[0]).schema
+    return spark.read.schema(_schemas[key]).parquet(key[0])
 
 
 def register_views(spark: SparkSession, folder: str, *names: str) -> None:

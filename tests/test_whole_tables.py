@@ -1,4 +1,4 @@
-"""Queries over whole tables: against their SQL where the id prefixes are parts, and all rows there."""
+"""Queries over whole tables: against their SQL, and all rows there."""
 
 from __future__ import annotations
 
@@ -25,9 +25,9 @@ def folder(sf_dir):
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_tables(spark, folder, name):
-    names, got = rows_of_query(library.QUERIES[f"{name}_whole"](spark, folder))
+    names, got = rows_of_query(library.QUERIES[name](spark, folder))
     with connect(folder) as con:
-        assert (names, got) == rows_of_sql(con, library.ORACLE[f"{name}_whole"])
+        assert (names, got) == rows_of_sql(con, library.ORACLE[name])
         for key in (n for n in names if n in KEYS and not name.startswith("scalar")):
             column = {"k": "c_custkey"}.get(key, key)
             assert len({r[names.index(key)] for r in got}) == con.execute(f"SELECT count(DISTINCT {column}) FROM {KEYS[key]}").fetchone()[0]
