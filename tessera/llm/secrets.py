@@ -21,6 +21,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,24 +45,50 @@ KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 SCOPE = 200
 MASK = "[REDACTED]"
 
+#: Items of a block of a fold.
+BLOCK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_MATCH = "struct<start:int,end:int,hit:string>"
+
+
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], at: int = 0) -> Column:
+    """at and out: what ``step(at, item)``, the next at and an array of ``kind``, adds over all items.
+
+    Items are folded in blocks, so that an array that grows is copied for those of its
+    block and not for all before it.  ``items`` must be cheap: a column or a lambda's name.
+    """
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def within(state: Column, item: Column) -> Column:
+        beyond, added = step(state["at"], item)
+        return F.struct(beyond.alias("at"), F.concat(state["out"], added).alias("out"))
+
+    def block(state: Column, number: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), none.alias("out"))
+        return F.aggregate(
+            F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), start, within, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out"))
+        )
+
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(at).alias("at"), nested.alias("out"))
+    return F.aggregate(numbers, start, block, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """All matches of the pattern with their positions in code points (end exclusive)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"))
-    none = F.lit(None).cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array()).cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
+    pairs = F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda p: p["hit"].isNotNull())
 
-    def step(state: Column, pair: Column) -> Column:
-        lo = state["at"] + pair["gap"]
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        lo = at + pair["gap"]
         hi = lo + F.char_length(pair["hit"])
-        return F.struct(hi.alias("at"), F.concat(state["found"], F.array(F.struct(lo.alias("start"), hi.alias("end"), pair["hit"].alias("hit")))).alias("found"))
+        return hi, F.array(F.struct(lo.alias("start"), hi.alias("end"), pair["hit"].alias("hit")))
 
-    folded = F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(start["found"])
+    # a lambda's name for the pairs: the pattern runs once, not for every block
+    folded = F.get(F.transform(F.array(pairs), lambda p: _fold(p, _MATCH, step)["out"]), F.lit(0))
+    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -123,13 +151,12 @@ def find_secrets(docs: DataFrame, with_digest: bool = False) -> DataFrame:
 def masked(text: Column, found: Column, mask: str = MASK) -> Column:
     """The text with each maximal run of overlapping spans replaced by the mask."""
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        grown = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"])
-        return F.struct(grown.alias("out"), F.greatest(s["end"], state["at"]).alias("at"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        return F.greatest(s["end"], at), F.when(s["start"] >= at, F.array(gap, F.lit(mask))).otherwise(F.array().cast("array<string>"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    folded = F.transform(F.array(_fold(found, "string", step)), lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.get(folded, F.lit(0))
 
 
 def redact(docs: DataFrame) -> DataFrame:
