@@ -17,6 +17,8 @@ table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +123,41 @@ def _exists(spark, path: str) -> bool:
 
 
 def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a version of the map under ``path``; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
-    return load_map(slot_map.sparkSession, path)
+    """Add a version of the map under ``path``; earlier versions stay readable.
+
+    A version is claimed by creating a file that must not exist, and appears whole by a
+    rename: of two writers of one version the second gets an error.
+    """
+    spark = slot_map.sparkSession
+    version = slot_map.agg(F.max("version")).first()[0]
+    folder, draft = _folder(spark, path), f"_draft-{uuid.uuid4().hex}"
+    slot_map.drop("version").coalesce(1).write.parquet(f"{path}/{draft}")
+    try:
+        if not folder.create(f"_claims/{version}"):
+            raise FileExistsError(f"version {version} of the slot map is taken")
+        folder.rename(draft, f"version={version}")
+    finally:
+        folder.delete(draft)
+    return load_map(spark, path)
+
+
+class _folder:
+    """A folder of the cluster's file system."""
+
+    def __init__(self, spark, path: str) -> None:
+        self._path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def create(self, name: str) -> bool:
+        """False where the file is there already."""
+        return self._fs.createNewFile(self._path(name))
+
+    def rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
 
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
