@@ -33,6 +33,8 @@ from .types import type_of
 MAX_CASCADE = 64
 #: Seconds for which VACUUM leaves what an open transaction may still need.
 HORIZON = 24 * 3600.0
+#: Times that a statement starts again when other writers come first.
+RESTARTS = 20
 #: Rows that ANALYZE looks at.
 SAMPLE = 30_000
 
@@ -169,15 +171,31 @@ class Database:
         self._mode = {"read_only": False, "isolation": "read committed", "failed": False}
 
     def _statement(self, run, writes: bool = True):
-        """Run a statement in the open transaction, or in one of its own."""
+        """Run a statement in the open transaction, or in one of its own.
+
+        One of its own starts again on the rows that another writer published before it:
+        it looks at every row anew, as READ COMMITTED asks.
+        """
         if self._work is not None and self._mode["failed"]:
             raise SqlError("25P02", "current transaction is aborted, commands ignored until end of transaction block")
         if writes and self._mode["read_only"]:
             raise SqlError("25006", "cannot execute a write in a read-only transaction")
-        own = self._work is None
-        if own:
-            self.begin()
-        elif self._mode["isolation"] == "read committed":
+        if self._work is None:
+            for _ in range(RESTARTS):
+                self.begin()
+                try:
+                    out = run()
+                except BaseException:
+                    self._end()
+                    raise
+                try:
+                    self.commit()
+                    return out
+                except SqlError as e:
+                    if e.state != "40001":
+                        raise
+            raise SqlError("40001", "could not serialize access due to concurrent update")
+        if self._mode["isolation"] == "read committed":
             latest = self._latest()
             for name, table in latest["tables"].items():
                 if name not in self._touched:
@@ -185,16 +203,10 @@ class Database:
                     self._base["tables"][name] = copy.deepcopy(table)
         saved, touched = copy.deepcopy(self._work), set(self._touched)
         try:
-            out = run()
-            if own:
-                self.commit()
-            return out
+            return run()
         except BaseException:
-            if own:
-                self._end()
-            else:
-                self._work, self._touched = saved, touched
-                self._mode["failed"] = True
+            self._work, self._touched = saved, touched
+            self._mode["failed"] = True
             raise
 
     def _catalog(self) -> dict:

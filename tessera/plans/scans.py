@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .. import dialect
 from ..operators import relational as R
 from ..scratch import scratch_path
-from ..sources import copy_from, copy_to, load
+from ..sources import TABLES, copy_from, copy_to, load
 from ..sources.parquet import clustered
 from .registry import both, query
 
@@ -32,13 +32,10 @@ def index_scan_null_bound(spark: SparkSession, folder: str) -> DataFrame:
 both("index_ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25")
 
 
-@query(
-    """SELECT * FROM (VALUES ('nation', 'n_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_regionkey', 3),
-       ('region', 'r_name', 2), ('region', 'r_regionkey', 1)) t(table_name, column_name, ordinal_position)"""
-)
+@query(f"SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position FROM information_schema.columns WHERE table_name IN {TABLES}")
 def information_schema_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """A system table made on demand from the schemas of tables."""
-    rows = [(t, c, i + 1) for t in ("region", "nation") for i, c in enumerate(load(spark, folder, t).columns)]
+    """A system table made on demand from the schemas of all tables."""
+    rows = [(t, c, i + 1) for t in TABLES for i, c in enumerate(load(spark, folder, t).columns)]
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int")
 
 

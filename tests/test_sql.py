@@ -155,3 +155,19 @@ def test_statistics_of_a_sample(spark, tmp_path, monkeypatch):
     about = {a["column"]: a for a in db.analyze("t")}
     assert 3000 < about["id"]["n_distinct"] <= 5500 and about["few"]["n_distinct"] == 7 and abs(about["s"]["null_frac"] - 0.25) < 0.08
     assert len(about["few"]["common"]) == 7 and about["id"]["bounds"] == sorted(about["id"]["bounds"])
+
+
+def test_a_statement_starts_again_on_what_another_writer_did(spark, tmp_path, monkeypatch):
+    one, two = (Session(spark, Database(spark, str(tmp_path / "db"))) for _ in range(2))
+    one.script("CREATE TABLE t (id int PRIMARY KEY, v int); INSERT INTO t VALUES (1, 1), (2, 1)")
+    commit, raced = one.db.commit, []
+
+    def late():
+        if not raced:
+            raced.append(True)
+            two.execute("UPDATE t SET v = 5 WHERE id = 1")
+        commit()
+
+    monkeypatch.setattr(one.db, "commit", late)
+    assert rows(one, "UPDATE t SET v = v + 1 WHERE v < 5 RETURNING id, v") == [(2, 2)]
+    assert raced and rows(two, "SELECT * FROM t") == [(1, 5), (2, 2)]
