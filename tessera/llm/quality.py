@@ -214,7 +214,8 @@ def fit(vecs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network:
     """A network fitted on at most ``rows`` labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    table = vecs.select("doc_id", "vec").join(known, "doc_id").toPandas().sort_values(["doc_id", "y", "vec"])  # bounded by `rows` and their copies
+    table = vecs.select("doc_id", "vec").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "vec").limit(rows)  # rows of one doc_id count each
+    table = table.toPandas().sort_values(["doc_id", "y", "vec"])
     x = np.frombuffer(b"".join(table["vec"].tolist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
     return Network(x, table["y"].to_numpy().astype(np.float64))
 
