@@ -380,18 +380,43 @@ class Database:
         everything = changed.unionByName(fresh.select(F.lit(True).alias("_hit"), *back))
         return self._rewrite(name, everything)
 
-    def _rewrite(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replace the table by ``rows``, of which those with ``_hit`` changed; they are returned.
+    def _staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written once and read back, for plans that use them more than once."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _hit_files(self, name: str, hits: DataFrame) -> list[str] | None:
+        """The files of the rows that ``hits`` names by _id; None where all must be
+        written anew, as their columns aren't the table's."""
+        if not all(s.get("as") == n for n, s in self._meta(name)["stored"].items()):
+            return None
+        return [r["file"] for r in hits.select("_id.file").distinct().collect()]  # names of files, not rows
+
+    def _part(self, name: str, files: list[str] | None) -> DataFrame:
+        """The rows of some files of the table, or all, with their _id."""
+        meta = self._meta(name)
+        return self._read(meta if files is None else meta | {"data": files}, ids=True)
+
+    def _replace(self, name: str, rows: DataFrame, files: list[str] | None = None) -> DataFrame:
+        """Write ``rows`` in place of some files of the table, or of all; they are returned.
 
-        The rows are written once, _hit beside them: what is checked is what is stored.
+        ``rows`` may have a column _hit beside the table's; it is stored and not read.
         """
         meta, path = self._meta(name), f"{self.root}/{name}-{uuid.uuid4().hex}"
-        schema = self._schema(meta)
-        assigned = rows.select(*(self._assigned(F.col(c["name"]), c).alias(c["name"]) for c in meta["columns"]), "_hit")
-        assigned.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "_hit").write.parquet(path)
-        meta["data"], meta["stored"] = [path], {f.name: {"as": f.name} for f in schema}
+        schema, more = self._schema(meta), ["_hit"] if "_hit" in rows.columns else []
+        assigned = rows.select(*(self._assigned(F.col(c["name"]), c).alias(c["name"]) for c in meta["columns"]), *more)
+        assigned.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), *more).write.parquet(path)
+        gone, rest = {f.rsplit("/", 1)[1] for f in files or ()}, []
+        if files is not None and meta["data"]:
+            rest = [f for f in self.spark.read.schema(schema).parquet(*meta["data"]).inputFiles() if f.rsplit("/", 1)[1] not in gone]
+        meta["data"], meta["stored"] = [*rest, path], {f.name: {"as": f.name} for f in schema}
         self._touched.add(name)
-        changed = self.spark.read.schema(T.StructType([*schema, T.StructField("_hit", T.BooleanType())])).parquet(path).filter("_hit").drop("_hit")
+        return self.spark.read.schema(T.StructType([*schema, *(T.StructField(n, T.BooleanType()) for n in more)])).parquet(path)
+
+    def _rewrite(self, name: str, rows: DataFrame, files: list[str] | None = None) -> DataFrame:
+        """Replace files of the table, or all, by ``rows``, of which those with ``_hit`` changed; they are returned."""
+        changed = self._replace(name, rows, files).filter("_hit").drop("_hit")
         self._check_rows(name, changed)
         self._check_unique(name, changed)
         return changed
@@ -416,12 +441,13 @@ class Database:
             else:
                 hits = rows.join(source, condition).select("_id", *values)
                 hits = hits.groupBy("_id").agg(F.min(F.struct(*(f"_v{i}" for i in range(len(values))))).alias("_s")).select("_id", "_s.*")
-            hits = hits.withColumn("_hit", F.lit(True))
-            merged = rows.join(hits, "_id", "left")
+            hits = self._staged(name, hits.withColumn("_hit", F.lit(True)))
+            files = self._hit_files(name, hits)
+            before = self._part(name, files)
+            merged = before.join(hits, "_id", "left")
             place = {c: i for i, c in enumerate(set)}
             new = [F.when(F.col("_hit"), F.col(f"_v{place[n]}")).otherwise(F.col(n)).alias(n) if n in place else F.col(n) for n in names]
-            before = rows
-            changed = self._rewrite(name, merged.select(*new, F.coalesce("_hit", F.lit(False)).alias("_hit")))
+            changed = self._rewrite(name, merged.select(*new, F.coalesce("_hit", F.lit(False)).alias("_hit")), files)
             after = merged.filter("_hit").select(*(F.col(n).alias(f"_o_{n}") for n in names), *new)
             self._children_updated(name, before, after, {c for c in set}, 0)
             return changed
@@ -436,9 +462,11 @@ class Database:
             rows = self._read(self._meta(name), ids=True).alias(alias or name)
             condition = F.expr(where) if where else F.lit(True)
             gone = rows.filter(condition) if using is None else rows.join(using, condition, "left_semi")
-            gone = gone.select("_id")
-            self._store(name, rows.join(gone, "_id", "left_anti").drop("_id"))
-            deleted = rows.join(gone, "_id", "left_semi").drop("_id")
+            gone = self._staged(name, gone.select("_id"))
+            files = self._hit_files(name, gone)
+            part = self._part(name, files)
+            self._replace(name, part.join(gone, "_id", "left_anti").drop("_id"), files)
+            deleted = part.join(gone, "_id", "left_semi").drop("_id")
             self._children_deleted(name, deleted, 0)
             return deleted
 
@@ -460,16 +488,17 @@ class Database:
             left = self._read(self._meta(name)).select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(key["references"])))
             gone = deleted.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(key["references"]))).distinct().join(left, [f"_p{i}" for i in range(len(key["columns"]))], "left_anti")
             rows = self._read(self._meta(child), ids=True)
-            hits = rows.join(gone, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(key["columns"])], "left_semi")
+            hits = self._staged(child, rows.join(gone, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(key["columns"])], "left_semi"))
             if hits.isEmpty():
                 continue
-            rest = rows.join(hits.select("_id"), "_id", "left_anti").drop("_id")
+            files = self._hit_files(child, hits)
+            rest = self._part(child, files).join(hits.select("_id"), "_id", "left_anti").drop("_id")
             if key["on_delete"] == "cascade":
-                self._store(child, rest)
+                self._replace(child, rest, files)
                 self._children_deleted(child, hits.drop("_id"), depth + 1)
             elif key["on_delete"] in ("set null", "set default"):
                 nulled = hits.drop("_id").select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name in key["columns"] else F.col(f.name) for f in hits.drop("_id").schema))
-                self._rewrite(child, rest.withColumn("_hit", F.lit(False)).unionByName(nulled.withColumn("_hit", F.lit(True))))
+                self._rewrite(child, rest.withColumn("_hit", F.lit(False)).unionByName(nulled.withColumn("_hit", F.lit(True))), files)
             else:
                 raise SqlError("23503", f'update or delete on table "{name}" violates foreign key constraint "{key["name"]}" on table "{child}"')
 
@@ -764,7 +793,7 @@ class Database:
         versions = self._versions()
         stale = [v for v in versions[:-keep] if old(self._path("_catalog", f"{v:012d}.json"))]
         catalogs = [self.at_version(v) for v in versions if v not in stale] + [c for c in (self._work, self._base) if c]
-        used = {p.rsplit("/", 1)[1] for catalog in catalogs for t in catalog["tables"].values() for p in t["data"]}
+        used = {part for catalog in catalogs for t in catalog["tables"].values() for p in t["data"] for part in p.rsplit("/", 2)[1:]}  # a folder, or a file of one
         for f in fs.listStatus(self._path()):
             folder = f.getPath().getName()
             if folder != "_catalog" and folder not in used and old(f.getPath()):

@@ -171,3 +171,22 @@ def test_a_statement_starts_again_on_what_another_writer_did(spark, tmp_path, mo
     monkeypatch.setattr(one.db, "commit", late)
     assert rows(one, "UPDATE t SET v = v + 1 WHERE v < 5 RETURNING id, v") == [(2, 2)]
     assert raced and rows(two, "SELECT * FROM t") == [(1, 5), (2, 2)]
+
+
+def test_only_files_with_hits_are_written_anew(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    s = Session(spark, db)
+    s.script("CREATE TABLE t (id bigint PRIMARY KEY, v int)")
+    for lo in (0, 100, 200):
+        db.insert("t", spark.range(lo, lo + 100).selectExpr("id", "0"))
+    files = lambda: {f.rsplit("/", 1)[1] for f in db.table("t").inputFiles()}
+    first = files()
+    s.execute("UPDATE t SET v = 1 WHERE id = 150")
+    kept = files() & first
+    assert 0 < len(first - kept) <= 4 and len(kept) >= len(first) - 4
+    s.execute("DELETE FROM t WHERE id = 250")
+    s.execute("DELETE FROM t WHERE id = 9999")
+    assert rows(s, "SELECT count(*) n, sum(v) v, sum(id) i FROM t") == [(299, 1, D(sum(range(300)) - 250))]
+    assert db.vacuum(horizon=0) > 0 and rows(s, "SELECT count(*) n FROM t") == [(299,)]
+    s.script("ALTER TABLE t RENAME COLUMN v TO w; UPDATE t SET w = w + 1 WHERE id < 3; DELETE FROM t WHERE id = 0")
+    assert rows(s, "SELECT sum(w) w, count(*) n FROM t") == [(3, 298)]
