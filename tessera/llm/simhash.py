@@ -16,7 +16,12 @@ drop out by a combinable count.  A larger bucket is searched breadth first, each
 found node against those not reached yet, and gives a spanning forest instead of
 pairs; beyond ``PART`` fingerprints it is dealt into parts, and every two parts
 of it are searched together, so no task gets a bucket of unbounded size and no
-link is lost.
+link is lost.  Where that would copy a fingerprint more often than it has
+neighbours, ``MEETING``, the bucket's fingerprints meet at values instead: each goes
+to all values within two bits, and is joined to the least that is within one bit of
+the value.  Two within three bits meet at a value, two that are joined are within
+three, and a value has no more members than neighbours, so the work stays in
+proportion to the fingerprints.
 
 Defined results: null and empty texts have fingerprint zero and link to each
 other; repeated rows share a node; a component whose doc_ids are all null has a
@@ -26,6 +31,7 @@ null id; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,8 @@ SEED = 42
 COUNTED = 1 << 16
 #: Fingerprints of a bucket's part.
 PART = 2048
+#: Parts from which on a bucket's fingerprints meet at values: 1 + 64 + 64 * 63 / 2 values within two bits of each, and 1 + 64 within one.
+MEETING = 2146
 
 
 def fingerprint(text: str, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -132,18 +140,38 @@ def _linked(radius: int):
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+def _within(bits: int, width: int = 64) -> list[int]:
+    """All numbers of at most ``bits`` set bits."""
+    return [sum(1 << i for i in chosen) for n in range(bits + 1) for chosen in combinations(range(width), n)]
+
+
+def meetings(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: links that join all of ``points`` (distinct fp) within ``radius`` bits, through values between them."""
+
+    def values(bits: int) -> DataFrame:
+        steps = F.array(*(F.lit(_signed(m)) for m in _within(bits)))
+        return points.select("fp", F.explode(steps).alias("step")).select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("value"))
+
+    least = values(radius // 2).groupBy("value").agg(F.min("fp").alias("v"))
+    return values(radius - radius // 2).join(least, "value").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+
+
+def links(points: DataFrame, radius: int = RADIUS, part: int = PART, meeting: int = MEETING) -> DataFrame:
     """u, v: links that join all of ``points`` (distinct fp) within ``radius`` bits."""
     masks = [_signed(m) for m in covering_masks(radius)]
     tables = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
     entries = points.select("fp", tables.alias("e")).select("e.t", "e.key", "fp")
     crowded = stash(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")  # read back, a large bucket can be split in the join
-    parts = F.expr(f"(n + {part - 1}) div {part}")
-    rows = entries.join(crowded, ["t", "key"]).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    crowded = crowded.withColumn("parts", F.expr(f"(n + {part - 1}) div {part}"))
+    rows = entries.join(crowded.filter(F.col("parts") < meeting), ["t", "key"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("t", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
     group = ["t", "key", "a", "b"]
-    return rows.repartition(*group).sortWithinPartitions(*group, "fp").mapInArrow(_linked(radius), "u long, v long")
+    found = rows.repartition(*group).sortWithinPartitions(*group, "fp").mapInArrow(_linked(radius), "u long, v long")
+    huge = crowded.filter(F.col("parts") >= meeting)
+    if huge.isEmpty():
+        return found
+    return found.unionByName(meetings(stash(entries.join(huge, ["t", "key"]).select("fp").distinct(), "huge"), radius))
 
 
 def _rooted(docs: DataFrame, radius: int, with_digest: bool = False) -> DataFrame:
