@@ -190,3 +190,15 @@ def test_only_files_with_hits_are_written_anew(spark, tmp_path):
     assert db.vacuum(horizon=0) > 0 and rows(s, "SELECT count(*) n FROM t") == [(299,)]
     s.script("ALTER TABLE t RENAME COLUMN v TO w; UPDATE t SET w = w + 1 WHERE id < 3; DELETE FROM t WHERE id = 0")
     assert rows(s, "SELECT sum(w) w, count(*) n FROM t") == [(3, 298)]
+
+
+def test_copy_through_the_session(session):
+    session.execute("CREATE TABLE t (id int PRIMARY KEY, s text, ok boolean)")
+    session.execute("COPY t FROM STDIN", data="1\ta\\tb\tt\n2\t\\N\tf\n\\.\n")
+    session.execute("COPY t (id, s) FROM STDIN WITH (FORMAT csv, HEADER)", data='id,s\n3,"x, y"\n4,\n5,""\n')
+    assert rows(session, "SELECT * FROM t") == [(1, "a\tb", True), (2, None, False), (3, "x, y", None), (4, None, None), (5, "", None)]
+    assert rows(session, "COPY t TO STDOUT") == [("1\ta\\tb\tt",), ("2\t\\N\tf",), ("3\tx, y\t\\N",), ("4\t\\N\t\\N",), ("5\t\t\\N",)]
+    assert rows(session, "COPY (SELECT id + 1, s FROM t WHERE id = 3) TO STDOUT (FORMAT csv)") == [('4,"x, y"',)]
+    with pytest.raises(SqlError) as e:
+        session.execute("COPY t FROM STDIN")
+    assert e.value.state == "08P01" and session.execute("NOTIFY a, 'b'").tag == "NOTIFY"
