@@ -6,8 +6,9 @@ concatenation is ``left * BASE**len(right) + right``, so the chunks of a huge
 document are hashed by different tasks and their length-shifted values summed.
 Texts of equal fingerprint and length are then compared chunk by chunk: per
 chunk position the least and the greatest chunk of the whole group must be the
-same, a combinable aggregate that never gathers a group.  A group that fails is
-split by its texts' SHA-256.
+same, a combinable aggregate that never gathers a group.  Bitmaps of the hashes of
+the texts to compare spare most others the shuffle.  A group that fails is split by
+its texts' SHA-256.
 
 Defined results: a null text counts as empty; equal rows (also of one doc_id)
 form a group of which one row stays; a null doc_id is less than any other; an
@@ -33,6 +34,10 @@ BLOCK = 256
 CHUNK_BYTES = 4 << 20
 #: Bytes of the chunks that groups are compared by.
 COMPARE_BYTES = 64 << 10
+#: Bits of one of Spark's bitmaps; of these, bits for each text to compare.
+BITMAP_BITS, BITS_A_TEXT = 32768, 16
+#: Bitmaps (of 4 KB) at most, a power of two; with more texts than fit, more others pass, which the join drops.
+MOST_BITMAPS = 4096
 
 KEY = ["h1", "h2", "n_bytes"]
 
@@ -115,13 +120,27 @@ def _fingerprinted(texts: DataFrame, chunk_bytes: int) -> DataFrame:
     return plain.unionByName(whole.drop("row"))
 
 
+def _likely(bodies: DataFrame, named: DataFrame) -> DataFrame:
+    """All rows of ``bodies`` whose ``sha`` is a ``_sha`` of ``named``, and few others:
+    each of the latter sets a bit of the bitmaps, which are broadcast."""
+    wanted = -(-named.count() * BITS_A_TEXT // BITMAP_BITS)
+    bitmaps = min(1 << max(0, wanted - 1).bit_length(), MOST_BITMAPS)
+    place = lambda sha: F.xxhash64(sha).bitwiseAND(F.lit(bitmaps * BITMAP_BITS - 1)).alias("_at")
+    number = F.shiftright("_at", BITMAP_BITS.bit_length() - 1)  # never null, unlike a quotient: no filter that hashes each text again
+    bits = named.select(place("_sha")).groupBy(number.alias("_bitmap")).agg(F.bitmap_construct_agg(F.expr(f"_at % {BITMAP_BITS}")).alias("_bits"))
+    byte = f"ascii(decode(substring(_bits, cast(_at % {BITMAP_BITS} div 8 as int) + 1, 1), 'ISO-8859-1'))"
+    found = bodies.select("*", place("sha")).join(F.broadcast(bits), number == F.col("_bitmap"))
+    return found.filter(f"getbit({byte}, cast(_at % 8 as int)) = 1").select(*bodies.columns)
+
+
 def unequal(texts: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Keys of ``groups`` under which two texts differ, found by a chunkwise comparison;
     ``rows`` are the texts' fingerprints."""
     named = rows.join(groups.select(KEY), KEY, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), *KEY).distinct()
-    named = stash(named, "named")  # of known size: a small one is broadcast, and of a large one a hot key can be split
-    bodies = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.encode("text", "UTF-8").alias("bytes"))
-    same = bodies.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    named = stash(named, "named")  # read back, a hot key of the join can be split
+    # Only the bodies to compare are shuffled, and at every size: the plan doesn't turn at a broadcast's limit.
+    bodies = _likely(texts.select("doc_id", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha")), named).withColumn("bytes", F.encode("text", "UTF-8"))
+    same = bodies.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
     # Grouped by a struct, the chunks don't inherit the join's partitioning: a large group's rows can be split and are combined per task.
     parts = same.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n_bytes - 1, 0L) div {COMPARE_BYTES}")))).select(
         F.struct(*KEY).alias("key"), "at", F.expr(f"substring(bytes, cast(at * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES})").alias("part")
