@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ def _database(spark: SparkSession) -> Database:
     return Database(spark, scratch_path(spark, "database"))
 
 
-def _customers(spark: SparkSession, folder: str, **options) -> Database:
+def _customers(spark: SparkSession, folder: str, *more: Column, key: Sequence[str] = ("id",), **options) -> Database:
     db = _database(spark)
-    columns = [Column("id", "bigint"), Column("name", "text", not_null=True), Column("nation", "int"), Column("balance", "numeric(12,2)", default="0")]
-    db.create_table("customers", columns, primary_key=["id"], **options)
+    columns = [Column("id", "bigint"), Column("name", "text", not_null=True), Column("nation", "int"), Column("balance", "numeric(12,2)", default="0"), *more]
+    db.create_table("customers", columns, primary_key=key, **options)
     c = load(spark, folder, "customer")
     db.insert("customers", c.select("c_custkey", "c_name", "c_nationkey", c.c_acctbal.cast("decimal(12,2)")))
     return db
@@ -78,13 +80,14 @@ def on_conflict_do_nothing(spark: SparkSession, folder: str) -> DataFrame:
        UNION ALL SELECT c_custkey + 500000, c_name || '!', 0, 7.0 FROM customer WHERE c_custkey % 100 = 0"""
 )
 def on_conflict_do_update(spark: SparkSession, folder: str) -> DataFrame:
-    db = _customers(spark, folder)
+    """``added`` is part of the key, as a new row's number may be a customer's too."""
+    db = _customers(spark, folder, Column("added", "int", default="0"), key=["id", "added"])
     c = load(spark, folder, "customer")
-    same = c.filter("c_custkey % 10 = 0").selectExpr("c_custkey", "c_name || '!'", "0", "CAST(7 AS DECIMAL(12,2))")
-    new = c.filter("c_custkey % 100 = 0").selectExpr("c_custkey + 500000", "c_name || '!'", "0", "CAST(7 AS DECIMAL(12,2))")
+    same = c.filter("c_custkey % 10 = 0").selectExpr("c_custkey", "c_name || '!'", "0", "CAST(7 AS DECIMAL(12,2))", "0")
+    new = c.filter("c_custkey % 100 = 0").selectExpr("c_custkey + 500000", "c_name || '!'", "0", "CAST(7 AS DECIMAL(12,2))", "1")
     action = Conflict({"name": "excluded.name", "balance": "customers.balance + excluded.balance"}, "customers.balance > 0")
     db.insert("customers", same.union(new), conflict=action)
-    return _out(db.table("customers"))
+    return _out(db.table("customers").drop("added"))
 
 
 @query(
