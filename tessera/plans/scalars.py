@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import call, datetimes, maths, strings, system
 from ..operators import types as K
@@ -147,7 +148,7 @@ _FIELDS = ("year", "month", "day", "hour", "minute", "dow", "isodow", "doy", "we
 )
 def extract_fields(spark: SparkSession, folder: str) -> DataFrame:
     e = load(spark, folder, "events")
-    return e.select("event_id", *(datetimes.extract(f, e.ts).cast("double").alias(f"{f}_") for f in _FIELDS), F.round(datetimes.extract("epoch", e.ts)).cast("bigint").alias("epoch_"), F.floor(datetimes.extract("second", e.ts)).cast("bigint").alias("second_"))
+    return e.select("event_id", *(datetimes.extract(f, e.ts).cast("double").alias(f"{f}_") for f in _FIELDS), K.to_integer(datetimes.date_part("epoch", e.ts), T.DoubleType(), "bigint").alias("epoch_"), F.floor(datetimes.extract("second", e.ts)).cast("bigint").alias("second_"))
 
 
 _UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year", "decade")

@@ -48,3 +48,7 @@ def test_statistics_of_all_rows(spark, tmp_path, monkeypatch, few):
     assert about["pair"]["common"] == [((0,), 17500), ((1,), 17500)]
     assert about["none"] == {"column": "none", "null_frac": 1.0, "n_distinct": 0, "common": [], "bounds": None}
     assert not [p for p in (tmp_path / "db").glob("t-*/*-counts")]
+
+
+def test_events_at_half_seconds(same_as_sql):
+    same_as_sql("extract_fields", "events", "SELECT i AS event_id, TIMESTAMP '1969-12-31 23:59:52.000001' + to_microseconds(i * 499999 + i // 2) AS ts FROM range(64) t(i) UNION ALL SELECT 64 + i, TIMESTAMP '2024-02-29 12:00:00.5' + to_seconds(i) FROM range(20) t(i)")
